@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import corpus_encoding, sentence_starts, similar_clusters, source_mixture, term_frequency
+from quillmesh.llm import corpus_encoding, name_variants, sentence_starts, similar_clusters, source_mixture, term_frequency
 
-MODULES = (term_frequency, sentence_starts, similar_clusters, corpus_encoding, source_mixture)
+MODULES = (term_frequency, sentence_starts, similar_clusters, corpus_encoding, source_mixture, name_variants)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
