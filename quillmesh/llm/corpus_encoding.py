@@ -36,6 +36,7 @@ PRETOKEN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s
 HEAD, HEAD_CHARS = 32_768, 48
 #: Bytes of distinct pre-tokens whose merges are replayed together.
 SHARD_BYTES = 1 << 20
+# explode_outer, as explode makes the optimiser repeat the expression in a filter below it.
 DEAD, WALL = -2, -1
 
 
@@ -102,8 +103,8 @@ def replay(words: list[bytes], first: list[int], rules: list[tuple[int, int, int
 
 
 def distinct_words(texts: DataFrame) -> DataFrame:
-    """word, n over texts(text): every distinct pre-token and how often it stands in the corpus."""
-    return texts.select(F.explode(F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """word, n over texts(text), none of them empty: every distinct pre-token and how often it stands in the corpus."""
+    return texts.select(F.explode_outer(F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def encoded_words(texts: DataFrame, path: str) -> DataFrame:
@@ -136,7 +137,7 @@ def encoded_words(texts: DataFrame, path: str) -> DataFrame:
 
 def located(texts: DataFrame, words: DataFrame, *values: str) -> DataFrame:
     """doc_id, version, pos and values of words for each pre-token of texts(doc_id, version, text)."""
-    each = texts.select("doc_id", "version", F.posexplode(F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))).alias("pos", "word"))
+    each = texts.select("doc_id", "version", F.posexplode_outer(F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))).alias("pos", "word"))
     short = words.filter(F.length("word") <= HEAD_CHARS)
     head = short.orderBy(F.desc("n"), "word").limit(HEAD).select("word", *values)
     head = materialise(head, "p7-head")

@@ -163,7 +163,7 @@ def candidates(t: Text) -> dict[Candidate, None]:
         w = t.low[i]
         if w in FRENCH or w in STREETS_AFTER_NUMBER and t.raw[i][0].isupper():
             first = i
-            while first > max(0, i - 8) and (t.kinds[first - 1] == "9" or t.raw[first - 1][0].isupper() or t.raw[first - 1] in ",-’'" or len(t.low[first - 1]) == 1 and t.glued(first - 1) or t.low[first - 1] in ("bis", "ter", "flat")):
+            while first > max(0, i - 8) and (t.kinds[first - 1] == "9" or t.raw[first - 1][0].isupper() or t.raw[first - 1] in ",-’'" or len(t.low[first - 1]) == 1 and t.low[first - 1].isalpha() and t.glued(first - 1) or t.low[first - 1] in ("bis", "ter", "flat")):
                 first -= 1
             for a in range(first, i):
                 if (t.kinds[a] == "9" or w in STREETS_AFTER_NUMBER and t.low[a] in ("flat", "apt", "unit", "apartment", "suite")) and not (t.glued(a) and t.raw[a - 1].isalnum()) and any(t.kinds[k] == "9" for k in range(a, i)):

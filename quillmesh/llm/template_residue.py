@@ -58,7 +58,7 @@ FILLER = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod
 
 def segmented(documents: DataFrame) -> DataFrame:
     """doc_id, segment: lines and sentences that are not blank."""
-    each = documents.filter("text is not null").select("doc_id", F.explode(F.split("text", SEGMENT_ENDS)).alias("segment"))
+    each = documents.filter("text is not null").select("doc_id", F.explode_outer(F.split("text", SEGMENT_ENDS)).alias("segment"))
     return each.select("doc_id", F.trim(F.regexp_replace("segment", r"(?U)\s+", " ")).alias("segment")).filter("segment <> ''")
 
 
