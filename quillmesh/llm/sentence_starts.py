@@ -58,7 +58,8 @@ _QUOTE = r"""\"”“»«’'」』"""
 NEXT = rf"(?=[^{_W},;:.!?…{_END}{MARK}])(?![»”」』](?:[,;:.…]|{W}))"
 #: What gets a mark behind it.
 ENDS = [
-    rf"((?<=[^{_W}]){H}*{LINE}(?:{H}*{LINE})+{H}*)(?=[^{_W}])",
+    # It begins at the line's end, so blanks inside lines cost nothing; starts() drops a mark with nothing before it.
+    rf"({LINE}{H}*{LINE}{W}*+)(?=[^{_W}])",
     # Question and exclamation, also of Arabic and Devanagari; a bracket ends a sentence only before no small letter.
     rf"([!?.…]*[!?؟।॥۔][!?.…]*{CF}{W}+){NEXT}",
     rf"([!?.…؟।॥۔][{_END}]+{CF}{W}+){NEXT}(?!\p{{Ll}})",
@@ -102,8 +103,9 @@ def starts(text: Column) -> Column:
 
 def sentence_starts(records: DataFrame) -> DataFrame:
     """record_kind, record_id, start_at over records(record_kind, record_id, text)."""
-    each = records.filter("text is not null").select("record_kind", "record_id", F.length("text").alias("n"), F.explode_outer(starts(F.col("text"))).alias("start_at"))
-    return each.filter("start_at > 0 and start_at < n").select("record_kind", "record_id", "start_at")
+    blank = F.length(F.regexp_extract("text", rf"^{W}*", 0))
+    each = records.filter("text is not null").select("record_kind", "record_id", F.length("text").alias("n"), blank.alias("blank"), F.explode_outer(starts(F.col("text"))).alias("start_at"))
+    return each.filter("start_at > blank and start_at < n").select("record_kind", "record_id", "start_at")
 
 
 def found(comments: DataFrame, sentences: DataFrame) -> DataFrame:
