@@ -1 +1 @@
-"""See the modules of this package."""
+"""Operators: each takes and returns DataFrames."""

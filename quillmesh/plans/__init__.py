@@ -1 +1 @@
-"""See the modules of this package."""
+"""Queries over the test tables, and the pipeline that joins the operators."""

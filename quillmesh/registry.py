@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillmesh.plans import text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-from quillmesh.sources.tables import table
-
-FLAGSHIP = "stance_counts"
-
-
-def stance_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "sentences").groupBy("stance").count()
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"stance_counts": stance_counts}
-ORACLES: dict[str, str] = {}
+FLAGSHIP = "stance_by_speaker"
+MODULES = (text_queries,)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -1 +1 @@
-"""See the modules of this package."""
+"""The stateless steps on streams of comments."""
