@@ -18,8 +18,9 @@ def _text(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _list(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: a lambda's variable is bound, a column expression would be computed at every mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def trimmed(c: Column) -> Column:
@@ -83,38 +84,49 @@ def ngram_tokens(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Tokens of two characters or more without stop words."""
-    return F.filter(ngram_tokens(c), lambda w: ~F.array_contains(_list(STOPWORDS), w))
+    return F.filter(ngram_tokens(c), lambda w: ~w.isin(STOPWORDS))
 
 
 def windows(words: Column, n: int) -> Column:
-    """Every run of n neighbours, as lists."""
+    """Every run of n neighbours, as lists; words must be a column or a bound variable."""
     last = F.size(words) - n
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(words, i + 1, n))).otherwise(F.array().cast("array<array<string>>"))
 
 
 def ngrams(words: Column, least: int = 2, most: int = 3) -> Column:
     """Phrases of least to most tokens that neither begin nor end with a stop word."""
-    stop = _list(STOPWORDS)
-    runs = F.concat(*[windows(words, n) for n in range(least, most + 1)])
-    kept = F.filter(runs, lambda r: ~F.array_contains(stop, F.get(r, F.lit(0))) & ~F.array_contains(stop, F.element_at(r, -1)))
-    return F.transform(kept, lambda r: F.array_join(r, " "))
+
+    def runs(w: Column) -> Column:
+        every = F.concat(*[windows(w, n) for n in range(least, most + 1)])
+        kept = F.filter(every, lambda r: ~F.get(r, F.lit(0)).isin(STOPWORDS) & ~F.element_at(r, -1).isin(STOPWORDS))
+        return F.transform(kept, lambda r: F.array_join(r, " "))
+
+    return let(words, runs)
 
 
 def keyphrases(words: Column, most: int = 4) -> Column:
     """Phrases of one to most tokens without stop words, numbers and single characters; single words have four letters or more."""
-    stop = _list(STOPWORDS)
-    good = lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w) & ~w.rlike(r"^[0-9]+$")
-    phrases = F.concat(*[F.transform(F.filter(windows(words, n), lambda r: F.forall(r, good)), lambda r: F.array_join(r, " ")) for n in range(1, most + 1)])
-    return F.filter(phrases, lambda p: ~p.rlike(r"^[-']|[-']$") & (p.contains(" ") | (F.length(p) >= 4)))
+    # What may not stand in a phrase becomes null, so the words are judged once and not in every run.
+    good = F.transform(words, lambda w: F.when((F.length(w) >= 2) & ~w.isin(STOPWORDS) & ~w.rlike(r"^[0-9]+$"), w))
+
+    def runs(w: Column) -> Column:
+        every = F.concat(*[windows(w, n) for n in range(1, most + 1)])
+        whole = F.transform(F.filter(every, lambda r: F.forall(r, lambda x: x.isNotNull())), lambda r: F.array_join(r, " "))
+        return F.filter(whole, lambda p: ~p.rlike(r"^[-']|[-']$") & (p.contains(" ") | (F.length(p) >= 4)))
+
+    return let(good, runs)
 
 
 def stem(c: Column | str) -> Column:
     """The first word without its suffix, if three letters stay."""
-    first = F.regexp_extract(F.lower(trimmed(_text(c))), r"^([^ \t\n\r\f\x0b\xa0]*)", 1)
-    out = first
-    for suffix in reversed(STEM_SUFFIXES):
-        out = F.when(first.endswith(suffix) & (F.length(first) - len(suffix) >= 3), F.regexp_replace(first, f"{suffix}$", "")).otherwise(out)
-    return out
+
+    def cut(first: Column) -> Column:
+        out = first
+        for suffix in reversed(STEM_SUFFIXES):
+            out = F.when(first.endswith(suffix) & (F.length(first) - len(suffix) >= 3), F.regexp_replace(first, f"{suffix}$", "")).otherwise(out)
+        return out
+
+    return let(F.regexp_extract(F.lower(trimmed(_text(c))), r"^([^ \t\n\r\f\x0b\xa0]*)", 1), cut)
 
 
 def char_code_slot(c: Column | str, slots: int = 10) -> Column:
@@ -131,20 +143,21 @@ def seed_phrases(c: Column | str) -> Column:
 def label_quality(c: Column | str) -> Column:
     """struct(score, passed, violations) of a label."""
     t = trimmed(F.coalesce(_text(c), F.lit("")))
-    words = F.transform(F.split(t, r"[ \t\n\r\f\x0b\xa0]+"), F.lower)
-    n = F.size(words)
-    stop = _list(STOPWORDS)
-    first = F.get(words, F.lit(0))
-    rules = [
-        (n == 1, 0.4, "single-word"), (n < 2, 0.0, "too-short"), (n > 7, 0.1, "too-long"),
-        (F.size(F.filter(words, lambda w: F.array_contains(stop, w))) / n > 0.4, 0.3, "stopword-heavy"),
-        (F.array_contains(stop, first) | first.isin(NON_NOUN_STARTS), 0.45, "non-noun-start"),
-        (F.size(F.array_distinct(words)) != n, 0.45, "repetition"), (F.exists(words, lambda w: w.isin(FILLER_WORDS)), 0.1, "filler-words"),
-    ]
-    score = F.lit(1.0)
-    for broken, penalty, _ in rules:
-        score = score - F.when(broken, penalty).otherwise(0.0)
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
-    violations = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for broken, _, name in rules]))
+
+    def judge(words: Column) -> Column:
+        n, first = F.size(words), F.get(words, F.lit(0))
+        rules = [
+            (n == 1, 0.4, "single-word"), (n < 2, 0.0, "too-short"), (n > 7, 0.1, "too-long"),
+            (F.size(F.filter(words, lambda w: w.isin(STOPWORDS))) / n > 0.4, 0.3, "stopword-heavy"),
+            (first.isin(STOPWORDS) | first.isin(NON_NOUN_STARTS), 0.45, "non-noun-start"),
+            (F.size(F.array_distinct(words)) != n, 0.45, "repetition"), (F.exists(words, lambda w: w.isin(FILLER_WORDS)), 0.1, "filler-words"),
+        ]
+        score = F.lit(1.0)
+        for broken, penalty, _ in rules:
+            score = score - F.when(broken, penalty).otherwise(0.0)
+        score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
+        violations = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for broken, _, name in rules]))
+        return F.struct(score.alias("score"), (score >= 0.6).alias("passed"), violations.alias("violations"))
+
     empty = F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("passed"), F.array(F.lit("empty")).alias("violations"))
-    return F.when(t == "", empty).otherwise(F.struct(score.alias("score"), (score >= 0.6).alias("passed"), violations.alias("violations")))
+    return F.when(t == "", empty).otherwise(let(F.transform(F.split(t, r"[ \t\n\r\f\x0b\xa0]+"), F.lower), judge))

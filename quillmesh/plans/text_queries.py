@@ -115,7 +115,7 @@ def ngram_vocab_size(spark: SparkSession, folder: str) -> DataFrame:
 _PHRASES = f"WITH {O.S}, w AS (SELECT concept_id, sent_id, {O.raw_tokens('sentence')} AS words FROM s), p AS ({O.phrases('w', 'concept_id, sent_id', 'words')})"
 
 
-@query(_PHRASES + " SELECT sent_id, phrase, round(count(*) * CASE WHEN contains(phrase, ' ') THEN 1.2 ELSE 1.0 END, 6) AS score FROM p GROUP BY 1, 2")
+@query(_PHRASES + " SELECT sent_id, phrase, CAST(round(count(*) * CASE WHEN contains(phrase, ' ') THEN 1.2 ELSE 1.0 END, 6) AS DOUBLE) AS score FROM p GROUP BY 1, 2")
 def keyphrase_scores(spark: SparkSession, folder: str) -> DataFrame:
     each = sentence_facts(spark, folder).select("sent_id", F.explode_outer(T.keyphrases(T.raw_tokens("sentence"))).alias("phrase")).filter("phrase is not null")
     boost = F.when(F.col("phrase").contains(" "), 1.2).otherwise(1.0)
@@ -256,7 +256,7 @@ def speaker_segmentation(spark: SparkSession, folder: str) -> DataFrame:
     return speaker_blocks(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
-@query(f"WITH {O.K}, q AS (SELECT concept_id, trim(label, ' ' || chr(9) || chr(10) || chr(12) || chr(160)) AS t FROM k), w AS (SELECT concept_id, t, list_transform(string_split_regex(t, '[ \\t\\n\\r\\f\\x0b\\x{{a0}}]+'), lambda x: lower(x)) AS w FROM q), f AS (SELECT concept_id, t, w, len(w) AS n, len(list_filter(w, lambda x: list_contains({O.STOP}, x))) AS st FROM w) SELECT concept_id, CASE WHEN coalesce(t, '') = '' THEN 0.0 ELSE round(greatest(0.0, least(1.0, 1.0 - CASE WHEN n = 1 THEN 0.4 ELSE 0 END - CASE WHEN n > 7 THEN 0.1 ELSE 0 END - CASE WHEN st / n::DOUBLE > 0.4 THEN 0.3 ELSE 0 END - CASE WHEN list_contains({O.STOP}, w[1]) OR w[1] IN ('addressing', 'shows', 'move', 'goes', 'tells', 'appearing', 'seems', 'is', 'are', 'about') THEN 0.45 ELSE 0 END - CASE WHEN len(list_distinct(w)) <> n THEN 0.45 ELSE 0 END - CASE WHEN len(list_filter(w, lambda x: x IN ('areas', 'project', 'design', 'spaces', 'brief', 'proposal'))) > 0 THEN 0.1 ELSE 0 END)), 6) END AS score FROM f")
+@query(f"WITH {O.K}, q AS (SELECT concept_id, trim(label, ' ' || chr(9) || chr(10) || chr(12) || chr(160)) AS t FROM k), w AS (SELECT concept_id, t, list_transform(string_split_regex(t, '[ \\t\\n\\r\\f\\x0b\\x{{a0}}]+'), lambda x: lower(x)) AS w FROM q), f AS (SELECT concept_id, t, w, len(w) AS n, len(list_filter(w, lambda x: list_contains({O.STOP}, x))) AS st FROM w) SELECT concept_id, CAST(CASE WHEN coalesce(t, '') = '' THEN 0.0 ELSE round(greatest(0.0, least(1.0, 1.0 - CASE WHEN n = 1 THEN 0.4 ELSE 0 END - CASE WHEN n > 7 THEN 0.1 ELSE 0 END - CASE WHEN st / n::DOUBLE > 0.4 THEN 0.3 ELSE 0 END - CASE WHEN list_contains({O.STOP}, w[1]) OR w[1] IN ('addressing', 'shows', 'move', 'goes', 'tells', 'appearing', 'seems', 'is', 'are', 'about') THEN 0.45 ELSE 0 END - CASE WHEN len(list_distinct(w)) <> n THEN 0.45 ELSE 0 END - CASE WHEN len(list_filter(w, lambda x: x IN ('areas', 'project', 'design', 'spaces', 'brief', 'proposal'))) > 0 THEN 0.1 ELSE 0 END)), 6) END AS DOUBLE) AS score FROM f")
 def label_quality(spark: SparkSession, folder: str) -> DataFrame:
     return concept_facts(spark, folder).select("concept_id", T.label_quality("label")["score"].alias("score"))
 
