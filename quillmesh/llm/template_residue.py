@@ -43,9 +43,9 @@ VARIABLE = r"^[\p{L}_][\p{L}\p{N}_.\-]*(?: [\p{L}\p{N}_.\-]+){0,2}$"
 #: Joined words, which prose does not have.
 JOINED = r"^[\p{L}\p{N}]+(?:[_.][\p{L}\p{N}]+)+$"
 
-# Terms of error messages, script notices and filler text in the languages of the corpus.
+# For lower case. Terms of error messages, script notices and filler text in the languages of the corpus.
 SEED = (
-    r"(?iu)\w+(?:error|exception)\b|\bfile \"[^\"]+\", line|on line \d|\.php\b|\w::\w+\(|\bat \w+ \([^)]*:\d+\)|#(?:ref|value|name)[!?]|#n/a|nicht gefunden|existiert nicht|\berrors?\b|\bfatal\b|exception|traceback|\bnoscript\b|java ?script|\bscripts?\b|\bscripting\b|\bjs\b|e_no|https? #|not found|unavailable|time[- ]?out|timed out|forbidden|"
+    r"(?:error|exception)\b|\bfile \"[^\"]+\", line|on line \d|\.php\b|\w::\w+\(|\bat \w+ \([^)]*:\d+\)|#(?:ref|value|name)[!?]|#n/a|nicht gefunden|existiert nicht|\berrors\b|\bfatal\b|traceback|\bnoscript\b|java ?script|\bscripts?\b|\bscripting\b|\bjs\b|\be_no|https? #|not found|unavailable|time[- ]?out|timed out|forbidden|"
     r"bad gateway|internal server|gateway|too many requests|access denied|permission to|session has|expired|cookies|browser|went wrong|could not (?:connect|be (?:located|found|loaded))|no longer valid|"
     r"no answer|limit was exceeded|was deleted|is gone|(?:try|load) (?:it )?again|reload|refresh|log ?in to|sign in|oops|whoops|lorem|ipsum|blindtext|dummy text|filler|placeholder|goes here|"
     r"add a short|short description of|headline|subtitle of|loading\.\.\.|cannot read|undefined|null pointer|\bnginx\b|\bapache\b|administrator|captcha|"
@@ -103,7 +103,7 @@ def residue_pages(segments: DataFrame) -> DataFrame:
     """doc_id of records that consist for the most part of error messages, script notices or filler."""
     words = F.regexp_extract_all(F.lower("segment"), F.lit(r"\p{L}+"), F.lit(0))
     filler = F.size(F.filter("words", lambda w: w.isin(FILLER))) * 2 > F.size("words")
-    keyed = segments.select("doc_id", "segment", words.alias("words")).select("doc_id", F.xxhash64(shape(F.col("segment"))).alias("key"), F.length(F.regexp_replace("segment", " ", "")).alias("chars"), F.when(filler & (F.size("words") > 3), 2).when(F.col("segment").rlike(SEED), 1).otherwise(0).alias("seed"))
+    keyed = segments.select("doc_id", "segment", words.alias("words")).select("doc_id", F.xxhash64(shape(F.col("segment"))).alias("key"), F.length(F.regexp_replace("segment", " ", "")).alias("chars"), F.when(filler & (F.size("words") > 3), 2).when(F.lower("segment").rlike(SEED), 1).otherwise(0).alias("seed"))
     keyed = materialise(keyed.filter("doc_id is not null"), "p9-segments")
     size = keyed.groupBy("doc_id").agg(F.sum("chars").alias("size"), F.max("seed").alias("seed"))
     # Only pages with a seed can become residue; the records of their segments are counted over all documents.
