@@ -205,7 +205,6 @@ def confusion_cost(word: str, truth: str, most: int = 4) -> int | None:
 
 def candidates(suspects: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """word, candidate, cost, n: every word of the vocabulary that confusions of print turn into the suspect."""
-    spark = suspects.sparkSession
     many, size = suspects.count(), vocabulary.count()
     left, right = max(1, -(-many // SHARD), min(64, many // 500)), max(1, -(-size // SHARD))
     s = suspects.select("word", F.pmod(F.xxhash64("word"), F.lit(left)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("shard"))
@@ -220,8 +219,9 @@ def candidates(suspects: DataFrame, vocabulary: DataFrame) -> DataFrame:
                     rows.append((word, truth, cost, counts[truth]))
         return pd.DataFrame(rows, columns=["word", "candidate", "cost", "n"])
 
-    del spark
-    return s.groupBy("shard", "part").cogroup(v.groupBy("shard", "part")).applyInPandas(intersect, "word string, candidate string, cost int, n long")
+    # A fixed number of partitions, as their few bytes would otherwise be merged into one long task.
+    spread = lambda d: d.repartition(left * right, "shard", "part")
+    return spread(s).groupBy("shard", "part").cogroup(spread(v).groupBy("shard", "part")).applyInPandas(intersect, "word string, candidate string, cost int, n long")
 
 
 # --- the whole ---
