@@ -28,7 +28,7 @@ def _block(column: pa.Array) -> np.ndarray:
 def first_centroids(units: DataFrame, k: int, seed: int) -> np.ndarray:
     """The k units with the least hashes: a sample that does not depend on partitions."""
     rows = units.orderBy(F.xxhash64("unit", F.lit(seed)), "unit").limit(k).collect()
-    return _unit_rows(np.array([r.v for r in rows]))
+    return _unit_rows(np.array([r.v for r in rows])) if rows else np.zeros((0, 0))
 
 
 def step(units: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, float, int]:
@@ -58,7 +58,7 @@ def step(units: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, float, in
 
 
 def spherical_kmeans(units: DataFrame, k: int, seed: int = 42, iterations: int = 25) -> DataFrame:
-    """unit, cluster, similarity: the nearest of k centroids by inner product, ties to the lowest number; k or fewer units give one cluster each."""
+    """unit, cluster, similarity: the nearest of k centroids by inner product, ties to the lowest number. An empty table gives no rows."""
     rows = materialise(units.select("unit", "v"), "kmeans-units")
     centroids = first_centroids(rows, k, seed)
     if not len(centroids):

@@ -1,23 +1,30 @@
-"""The registered queries and the flagship query."""
+"""The driver's contract, and that the core stands without the llm subpackage."""
+
+import subprocess
+import sys
+from pathlib import Path
 
 import __spark_entry__ as entry
+from quillmesh import registry
+
 
-SMALL = "/root/testdata/sf0.001"
+def test_entry_runs_the_flagship(spark):
+    rows = entry.entry(spark).collect()
+    assert rows and {r.stance for r in rows} <= {"praise", "critique", "suggestion", "neutral"}
 
 
-def test_term_queries_are_registered_with_oracles():
-    assert {"p1_found", "p1_terms"} <= set(entry.queries())
-    assert {"p1_found", "p1_terms"} <= set(entry.oracle_sql())
+def test_oracles_belong_to_queries():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry.QUERIES) <= set(entry.queries())
 
 
-def test_entry_gives_the_marked_terms_of_both_fields(spark):
-    rows = entry.entry(spark).collect()
-    assert len(rows) == len(set(rows)) > 0
-    assert {r.field_name for r in rows} == {"sentence", "keyphrase"}
-    assert {r["mark"] for r in rows} <= {"rare", "common"}
+def test_nothing_of_the_core_imports_llm():
+    root = Path(entry.__file__).parent
+    for path in (root / "quillmesh").rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert "quillmesh.llm" not in path.read_text()
 
 
-def test_found_is_the_marked_part_of_terms(spark):
-    q = entry.queries()
-    terms = q["p1_terms"](spark, SMALL).collect()
-    assert {(r.field_name, r.term, r["mark"]) for r in terms if r["mark"]} == {tuple(r) for r in q["p1_found"](spark, SMALL).collect()}
+def test_queries_without_the_llm_folder():
+    code = "import sys; sys.modules['quillmesh.llm'] = None\nimport importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith('quillmesh.llm') else f(n, *a)\nimport __spark_entry__ as e; assert e.queries() and not [q for q in e.queries() if q[0] == 'p' and q[1].isdigit()]"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(entry.__file__).parent)
