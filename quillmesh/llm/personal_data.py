@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from quillmesh.session import materialise
 
 TRAINING, NAMES, EPOCHS, WINDOW = 2200, 1000, 4, 8
-COMMON_SHARE = 0.002
+#: A word in more texts than this share is too common for a surname; a given name and a surname's ending need three
+#: persons and this share of the different ones. The shares bound the lists, whatever the number of rows.
+COMMON_SHARE, PERSON_SHARE = 0.002, 0.0001
 LABELS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 _Z = "\u200b-\u200f\u2060\ufeff\xad"
 TOKEN = re.compile(rf"(?:[^\W\d_]|[{_Z}])(?:[^\W\d_]|[{_Z}̀-ͯ]|['’](?=[^\W\d_]))*|\d+|[^\w\s]|_")
@@ -462,11 +464,13 @@ def statistics(comments: DataFrame) -> tuple[Words, list[str], list[str]]:
     person = materialise(comments.select(clean.alias("speaker")).filter(~F.lower("speaker").rlike(r"\b(?:" + "|".join(sorted(FIRMS)) + r")\b")).filter(r"speaker rlike '^[\\p{L}.’\'-]+( [\\p{L}.]+)? [\\p{L}’\'-]+$|^[\\p{L}-]+, [\\p{L}.]+$'").distinct(), "p2-speakers")
     part = F.split(F.lower("speaker"), " ")
     pairs = person.filter("speaker not like '%,%'").select(F.get(part, 0).alias("given"), F.element_at(part, -1).alias("surname")).filter("length(given) > 2 and given not like '%.'").distinct()
-    given = pairs.groupBy("given").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    pairs = materialise(pairs, "p2-persons")
+    least = max(3.0, PERSON_SHARE * pairs.count())
     firm = [*sorted(FIRMS), "anonymous", "the"]
-    firsts = {r.given for r in given.filter(~F.col("given").isin(firm)).orderBy(F.desc("n"), "given").limit(5000).collect()}
+    given = pairs.filter(~F.col("given").isin(firm)).groupBy("given").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    firsts = {r.given for r in given.collect()}
     tails = pairs.filter(~F.col("given").isin(firm)).select(F.explode(F.split("surname", "-")).alias("s")).filter("length(s) >= 5").distinct().select(F.expr("right(s, 4)").alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
-    endings = {r.tail for r in tails.filter("n >= 2").orderBy(F.desc("n"), "tail").limit(5000).collect()}
+    endings = {r.tail for r in tails.filter(F.col("n") >= max(2.0, least - 1)).collect()}
     texts = comments.select("text").distinct()
     each = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("word"))
     total = texts.count()

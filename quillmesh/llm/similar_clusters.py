@@ -36,6 +36,8 @@ from quillmesh.session import materialise
 PERCENT = 65
 LEAST_TERMS = 10
 TYPICAL = 3
+#: Distances that a task holds at once.
+BLOCK = 1 << 22
 DIMENSIONS, MOST_CELLS, ITERATIONS, SEED_ROUNDS, OVERSAMPLE = 64, 4096, 4, 3, 2.0
 
 
@@ -91,10 +93,17 @@ def block(column: pa.Array) -> np.ndarray:
 
 
 def nearest(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centroid of each row, and the squared distance."""
-    d = (centroids * centroids).sum(1)[None, :] - 2.0 * (v @ centroids.T)
-    cell = d.argmin(1)
-    return cell, np.maximum(d[np.arange(len(v)), cell] + (v * v).sum(1), 0.0)
+    """The nearest centroid of each row, and the squared distance; rows go in blocks, so that memory stays small for many centroids."""
+    half = (centroids * centroids).sum(1) / 2
+    cell, d = np.empty(len(v), dtype=np.int64), np.empty(len(v))
+    rows = max(1, BLOCK // max(1, len(centroids)))
+    for i in range(0, len(v), rows):
+        part = v[i : i + rows]
+        away = half[None, :] - part @ centroids.T
+        best = away.argmin(1)
+        cell[i : i + rows] = best
+        d[i : i + rows] = 2 * away[np.arange(len(part)), best] + (part * part).sum(1)
+    return cell, np.maximum(d, 0.0)
 
 
 def assigned(vecs: DataFrame, centroids: np.ndarray) -> DataFrame:
