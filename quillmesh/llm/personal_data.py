@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from quillmesh.session import materialise
 
 TRAINING, NAMES, EPOCHS, WINDOW = 2200, 1000, 4, 8
+MEMO = 200_000
 #: A word in more texts than this share is too common for a surname; a given name and a surname's ending need three
 #: persons and this share of the different ones. The shares bound the lists, whatever the number of rows.
 COMMON_SHARE, PERSON_SHARE = 0.002, 0.0001
@@ -61,6 +62,8 @@ class Words:
     def __init__(self, given: set[str], endings: set[str], common: set[str]):
         self.given, self.endings, self.common = given | GIVEN, endings, common
         self.bare = {_plain(g) for g in self.given}
+        #: Classes of tokens seen, by the token and whether a stop follows; emptied when MEMO is reached.
+        self.memo: dict[tuple[str, bool], str] = {}
 
 
 def _plain(w: str) -> str:
@@ -74,12 +77,20 @@ class Text:
         self.text = text
         found = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text)]
         self.raw, self.at, self.to = [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]
-        self.low = [INVISIBLE.sub("", t).lower() for t in self.raw]
+        self.low = [(INVISIBLE.sub("", t) if INVISIBLE.search(t) else t).lower() for t in self.raw]
         self.n = len(found)
         self.words = words
         self.kinds: list[str] = []
-        for i in range(self.n):
-            self.kinds.append(self._kind(i))
+        memo, raw, at, to = words.memo, self.raw, self.at, self.to
+        if len(memo) > MEMO:
+            memo.clear()
+        for i, t in enumerate(raw):
+            stop = i + 1 < self.n and raw[i + 1] == "." and to[i] == at[i + 1]
+            # Only of M do the neighbours say more than the stop does.
+            kind = memo.get((t, stop)) if t != "M" else None
+            if kind is None:
+                kind = memo[t, stop] = self._kind(i)
+            self.kinds.append(kind)
 
     def glued(self, i: int) -> bool:
         """No blank between token i - 1 and token i."""
