@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh import session
 from quillmesh.functions import text as T
-from quillmesh.operators import clusters, reports, segmentation, training
+from quillmesh.operators import clusters, reports, segmentation, similarity, training
 from quillmesh.operators.components import components
 from quillmesh.operators.numbering import numbered, row_windows
 from quillmesh.operators.speakers import cosine_links, entropy_links
@@ -94,6 +94,26 @@ def test_similarity_joins_lose_no_link(spark, threshold):
     assert got == {(a, b) for a, b in combinations(sorted(by), 2) if cos(by[a], by[b]) >= threshold}
 
 
+@pytest.mark.parametrize("carried", [2, 64])
+@pytest.mark.parametrize("measure, threshold", [("ENTROPY", 0.35), ("ENTROPY", 0.8), ("COSINE", 0.245)])
+def test_similar_pairs_in_blocks_and_passes(spark, measure, threshold, carried):
+    df, rows = shares(spark, n=60, items=20)
+    vecs = similarity.vectors(df, "owner", "item", "p")
+    by = {}
+    for o, i, p in rows:
+        by.setdefault(o, {})[i] = p
+    if measure == "COSINE":
+        by = {o: {i: p / math.sqrt(sum(x * x for x in v.values())) for i, p in v.items()} for o, v in by.items()}
+        vecs = similarity.vectors(spark.createDataFrame([(o, i, p) for o, v in by.items() for i, p in v.items()], df.schema), "owner", "item", "p")
+    part = {"COSINE": lambda x, y: x * y, "ENTROPY": lambda x, y: -(x * math.log2(x / (x + y)) + y * math.log2(y / (x + y))) / 2}[measure]
+    sim = {(a, b): sum(part(by[a][i], by[b][i]) for i in by[a].keys() & by[b].keys()) for a, b in combinations(sorted(by), 2)}
+    pairs = similarity.similar_pairs(vecs, getattr(similarity, measure), threshold, pairs_a_pass=600, block=7, carried=carried)
+    got = [(r.a, r.b, r.similarity) for r in similarity.with_names(pairs, vecs, "a", "b").collect()]
+    want = {k: s for k, s in sim.items() if s >= threshold}
+    assert {(a, b) for a, b, _ in got} == set(want) and len(got) == len(want)
+    assert {(a, b): s for a, b, s in got} == pytest.approx(want)
+
+
 def test_kmeans_and_dendrogram(spark):
     centres = [[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]]
     rows = [(i, [x + 0.01 * ((i * 7 + d) % 5) for d, x in enumerate(centres[i % 3])]) for i in range(60)]
